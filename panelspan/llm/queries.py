@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, substrings, token_counts
+from . import decontaminate, minhash, quality, simhash, substrings, token_counts, warc
+from .scratch import folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,28 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    warc.write(warc.with_revisits(_table(spark, sf_dir, "pages")), path)
+    found = warc.read(spark, path, columns=["record_id", "record_type", "refers_to_id", "payload_digest", "payload_bytes"])
+    return found.select(
+        warc.page_id_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id_of(F.col("refers_to_id")).alias("refers_to"),
+    )
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.compare_with_next(_table(spark, sf_dir, "documents"))
+    prints = [F.lower(F.hex(c)).alias(n) for c, n in (("print", "fingerprint"), ("edited_print", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -51,4 +73,12 @@ QUERIES = {
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, CAST(coalesce(strlen(html), 0) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        k AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n)
+        SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n""",
+}
