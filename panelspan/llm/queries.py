@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, quality, simhash, substrings, token_counts, warc
+from . import decontaminate, line_dedup, minhash, quality, simhash, substrings, token_counts, warc
 from .scratch import folder
 
 
@@ -63,7 +63,13 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op1_warc": op1_warc,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
