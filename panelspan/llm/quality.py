@@ -192,6 +192,28 @@ def fit(rows: DataFrame, waves: int = 256, ridge: float = 1e-3, seed: int = 7) -
     return model
 
 
+def train(every: DataFrame, labels: DataFrame, most_rows: int = 200_000) -> Model:
+    """``every``: what ``features`` gives, written; see ``classify``."""
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(~held_out(F.col("doc_id")))
+    n = known.count()
+    if n > most_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most_rows)
+    return fit(written(every.join(known, "doc_id")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, ...) that a classifier trained on them and ``labels`` scores at ``threshold`` or more."""
+    model = train(written(features(docs)), labels)
+    source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches, "text"):
+            good = model.score(statistics(part["text"])) >= threshold
+            yield pa.RecordBatch.from_arrays([part["row"].filter(pa.array(good))], ["row"])
+
+    return source.mapInArrow(run, source.select("row").schema).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 200_000) -> DataFrame:
     """documents (doc_id, text), labels (doc_id, quality) -> (doc_id, held_out, score, predicted).
 
@@ -200,10 +222,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_ro
     A null doc_id isn't held out. Null labels and labels of other documents are ignored; repeated rows count repeatedly.
     """
     every = written(features(docs))
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(~held_out(F.col("doc_id")))
-    n = known.count()
-    if n > most_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most_rows)
-    model = fit(written(every.join(known, "doc_id")))
+    model = train(every, labels, most_rows)
     scored = _row_numbers(every, "doc_id long, score double", lambda b: pa.RecordBatch.from_arrays([b["doc_id"], pa.array(model.score(_matrix(b["x"])))], ["doc_id", "score"]))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

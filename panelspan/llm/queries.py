@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, quality, simhash, substrings, token_counts, warc
+from . import decontaminate, licenses, line_dedup, minhash, quality, sentencepieces, simhash, substrings, token_counts, warc
 from .scratch import folder
 
 
@@ -68,7 +68,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "line")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
+
+
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
     "op1_warc": op1_warc,
     "op9_document_fingerprints": op9_document_fingerprints,
@@ -78,8 +90,30 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate((n, t.replace("'", "''")) for n, t in licenses.TEMPLATES))
+    words = r"string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    return f"""
+        WITH t AS (SELECT template, license, {words.format('body')} AS w FROM (VALUES {rows}) v(template, license, body)),
+        tb AS (SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+        ts AS (SELECT template, count(*) AS size FROM tb GROUP BY template),
+        u AS (SELECT doc_id, 0 AS line, text AS unit FROM documents WHERE contains(text, chr(10))
+            UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL),
+        uw AS (SELECT doc_id, line, {words.format('unit')} AS w FROM u),
+        ub AS (SELECT DISTINCT doc_id, line, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM uw)),
+        us AS (SELECT doc_id, line, count(*) AS n FROM ub GROUP BY doc_id, line),
+        m AS (SELECT ub.doc_id, ub.line, tb.template, tb.license, count(*) AS both_have FROM ub JOIN tb USING (bigram) GROUP BY ALL),
+        d AS (SELECT m.*, 2.0::DOUBLE * both_have / (n + size) AS dice FROM m JOIN us USING (doc_id, line) JOIN ts USING (template)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS k FROM d WHERE dice >= 0.8 - 1e-12)
+        SELECT documents.doc_id, license, round(dice, 6) AS dice, CAST(line AS BIGINT) AS line
+        FROM documents LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON documents.doc_id = b.doc_id"""
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, CAST(coalesce(strlen(html), 0) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         k AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n)

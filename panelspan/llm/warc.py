@@ -205,7 +205,8 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, split
     arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     fields = [c for c in RECORD.split(", ") if c.split(" ")[0] in wanted]
     kinds = pa.schema([(c.split(" ")[0], arrow[c.split(" ")[1]]) for c in fields])
-    return ranges.repartition("path", "start").mapInArrow(run, ", ".join(fields))
+    # A number of its own, or the few bytes of the list would all go to one task.
+    return ranges.repartition(max(1, min(ranges.count(), 20_000)), "path", "start").mapInArrow(run, ", ".join(fields))
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
