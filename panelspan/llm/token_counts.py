@@ -96,7 +96,10 @@ class PrefixTokenCounter:
         last = [i for i in range(n) if i + 1 == n or words[i] is None or words[i] != words[i + 1]]
         # A word reaches to the white space before the next one: offsets may leave out characters that were composed.
         stops = [encoded.offsets[i + 1][0] if i + 1 < n else len(text) for i in last]
-        return np.array([max(encoded.offsets[i][1], _trimmed(text, e)) for i, e in zip(last, stops, strict=True)], np.int64), np.array(last, np.int64) + 1
+        ends = np.array([max(encoded.offsets[i][1], _trimmed(text, e)) for i, e in zip(last, stops, strict=True)], np.int64)
+        # Words made of one character end together; the last of them has the count.
+        final = np.append(ends[1:] != ends[:-1], True)
+        return ends[final], np.array(last, np.int64)[final] + 1
 
     def count_at(self, text: str, table: tuple[np.ndarray, np.ndarray], end: int) -> int:
         """Tokens of ``text[:end]``: the words that end by then, and the part of a word after them."""
