@@ -111,9 +111,34 @@ def _license_sql() -> str:
         FROM documents LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON documents.doc_id = b.doc_id"""
 
 
+_REPEATS_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+    least_id AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+    gone AS (SELECT DISTINCT doc_id, j FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN least_id USING (h) WHERE m < win.doc_id)),
+    t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+    k AS (SELECT t.doc_id, count(*) AS n_words, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY t.j) FILTER (WHERE gone.j IS NULL) AS kept
+        FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.j = gone.j GROUP BY t.doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+_LEAKS_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS key FROM (SELECT *, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+    sizes AS (SELECT DISTINCT n FROM iw),
+    dw AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS key FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+    hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw ON dw.key = iw.key AND dw.n = iw.n),
+    words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": _REPEATS_SQL,
     "op3_license_scan": _license_sql(),
+    "op7_benchmark_decontamination": _LEAKS_SQL,
     "op1_warc": """
         WITH p AS (SELECT page_id, CAST(coalesce(strlen(html), 0) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         k AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n)
