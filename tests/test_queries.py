@@ -8,11 +8,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from panelspan.plans import model_queries, panel_queries
+from panelspan.plans import model_queries, panel_queries, quote_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = panel_queries.QUERIES | model_queries.QUERIES
-ORACLES = panel_queries.ORACLES | model_queries.ORACLES
+QUERIES = panel_queries.QUERIES | model_queries.QUERIES | quote_queries.QUERIES
+ORACLES = panel_queries.ORACLES | model_queries.ORACLES | quote_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
