@@ -574,12 +574,12 @@ def grid_quantiles_fallback(spark, sf):
     return p.join(cells, ["event_type", "d"], "left").join(F.broadcast(pool)).select("user_id", "d", r6(F.coalesce("q", "q0")).alias("q90"))
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS win_old, round(avg((o_totalprice > 120000)::INT), 6) AS win_new, CAST(sum((o_orderstatus = 'F' AND o_totalprice > 120000)::INT) AS BIGINT) AS kept, CAST(sum((o_orderstatus <> 'F' AND o_totalprice > 120000)::INT) AS BIGINT) AS gained, CAST(sum((o_orderstatus = 'F' AND NOT o_totalprice > 120000)::INT) AS BIGINT) AS given_up, round(sum(CASE WHEN o_totalprice > 120000 THEN o_totalprice ELSE 0 END - CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / count(*), 4) AS delta FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS win_old, round(avg((o_totalprice > 120000)::INT), 6) AS win_new, CAST(sum((o_orderstatus = 'F' AND o_totalprice > 120000)::INT) AS BIGINT) AS kept, CAST(sum((o_orderstatus <> 'F' AND o_totalprice > 120000)::INT) AS BIGINT) AS gained, CAST(sum((o_orderstatus = 'F' AND NOT o_totalprice > 120000)::INT) AS BIGINT) AS given_up, round(sum(CASE WHEN o_totalprice > 120000 THEN o_totalprice ELSE 0 END - CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 1) AS delta FROM orders GROUP BY 1")
 def scorecard_pair(spark, sf):
     old, new, v = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 120000, F.col("o_totalprice")
     n = lambda c: F.sum(c.cast("long"))
-    delta = F.sum(F.when(new, v).otherwise(0.0) - F.when(old, v).otherwise(0.0)) / F.count("*")
-    return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), r6(F.avg(old.cast("double"))).alias("win_old"), r6(F.avg(new.cast("double"))).alias("win_new"), n(old & new).alias("kept"), n(~old & new).alias("gained"), n(old & ~new).alias("given_up"), F.round(delta, 4).alias("delta"))
+    delta = F.sum(F.when(new, v).otherwise(0.0) - F.when(old, v).otherwise(0.0))
+    return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), r6(F.avg(old.cast("double"))).alias("win_old"), r6(F.avg(new.cast("double"))).alias("win_new"), n(old & new).alias("kept"), n(~old & new).alias("gained"), n(old & ~new).alias("given_up"), F.round(delta, 1).alias("delta"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(bit_xor(o_orderkey * 31 + o_custkey) AS BIGINT) AS fingerprint FROM orders")
