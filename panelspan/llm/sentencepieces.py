@@ -209,7 +209,8 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
 
     giant = written(source.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()))
     parts = written(giant.select("uid", "text").mapInArrow(cut, "uid long, k int, part string, a int, b int, first boolean, last boolean"))
-    each = parts.repartition("uid", "k").mapInArrow(matrices, "uid long, k int, n int, m binary")
+    # Chunks are read where they were written; only their matrices move, to a number of tasks that doesn't shrink with their bytes.
+    each = parts.mapInArrow(matrices, "uid long, k int, n int, m binary").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     chosen = each.groupBy("uid").applyInPandas(choose, "uid long, k int, enter int, leave int")
     done = parts.join(chosen, ["uid", "k"]).mapInArrow(between, "uid long, k int, ids array<int>, same boolean")
     joined = done.groupBy("uid").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"]).alias("ids"), F.min("same").alias("round_trip"))
