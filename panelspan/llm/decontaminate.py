@@ -31,7 +31,7 @@ class Phrases:
     vocabulary: np.ndarray
     windows: dict[int, np.ndarray]
     holders: dict[int, list[list[int]]]
-    items: list[str]
+    items: list[str | None]
 
     @property
     def shortest(self) -> int:
@@ -61,7 +61,7 @@ def phrases(item_ids: list, texts: list[str | None], width: int) -> Phrases:
         vocabulary,
         {size: np.array(list(own), np.int64) for size, own in at.items()},
         {size: [sorted(x) for x in own.values()] for size, own in at.items()},
-        [str(x) for x in item_ids],
+        [None if x is None else str(x) for x in item_ids],
     )
 
 
@@ -139,7 +139,8 @@ def _answers(part: pa.RecordBatch, found: T.Words, where: np.ndarray, length: np
     row = np.searchsorted(found.rows, where, "right") - 1
     items: list[set[str]] = [set() for _ in range(n)]
     for r, k in set(zip(row.tolist(), item.tolist(), strict=True)):
-        items[r].add(wanted.items[k])
+        if wanted.items[k] is not None:
+            items[r].add(wanted.items[k])
     if "spans" in part.schema.names:
         for r, (old, names) in enumerate(zip(part["spans"].to_pylist(), part["items"].to_pylist(), strict=True)):
             items[r].update(names)
@@ -178,17 +179,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
     With ``cut``, text is returned without the spans (from the first byte of their first word to the last of their last).
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. Null texts have no words
-    and stay null unless ``cut``. Items without an item_id or words match nothing; rows that repeat an item_id count as one item.
+    and stay null unless ``cut``. Items without words match nothing; those without an item_id count in n_hit and spans, not in items; rows that repeat an item_id count as one item.
     The benchmark is sent to the executors in blocks of about ``block_bytes`` of text, one pass over the documents each.
     Columns of ``docs`` whose names clash with those added are replaced.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
     own = [c for c in (columns or docs.columns) if not (cut and c == "text") and c not in ("n_words", "n_hit", "spans", "items")]
     found = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
     for block in range(blocks):
-        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).collect()
+        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(blocks)) == block)).collect()
         found = _scan_block(found, phrases([r.item_id for r in rows], [r.text for r in rows], width), shard_words, block < blocks - 1, cut)
     kept = [F.col("text") if cut and c == "text" else F.col(f"row.`{c}`") for c in (columns or docs.columns) if c in own or cut and c == "text"]
     return found.select(*kept, "n_words", "n_hit", "spans", "items")
