@@ -40,7 +40,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.token_counts(_table(spark, sf_dir, "documents"))
+    counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), budget=2048)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

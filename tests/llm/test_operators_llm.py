@@ -189,7 +189,32 @@ def test_token_counts(docs, rows, nothing):
         for end in range(len(text) + 1) if "<|" not in text else ():
             assert counter.count_at(text, table, end) == count(text[:end]), (text, end)
         for budget in range(count(text) + 1):
-            assert count(text[: counter.longest_prefix(text, table, budget)]) <= budget
+            assert counter.longest_prefix(text, table, budget) == max(k for k in range(len(text) + 1) if count(text[:k]) <= budget) or "<|" in text
+        if "<|" not in text:
+            # Every prefix is answered from what is stored by now.
+            encode, batch, counter.largest_cache = counter._encode, counter._sizes, 1000
+            [counter.count_at(text, table, end) for end in range(len(text) + 1)]
+            counter._encode = counter._sizes = None
+            assert [counter.count_at(text, table, end) for end in range(len(text) + 1)] == [count(text[:end]) for end in range(len(text) + 1)]
+            counter._encode, counter._sizes, counter.largest_cache = encode, batch, 3
+
+
+def test_token_budgets_of_columns():
+    """Random texts of the characters that words are cut at, by the library and every prefix."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    signs = ["'", "s", "t", "re", "ll", "ve", "m", "d", " ", "a", "é", "É", "ß", "×", "0", "9", ",", "\n", "\x85", "…", "中", "<|startoftext|>", "\x00", "\x1c", "À", "㎏", "e\u0301"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(600)] + ["", None, "word " * 40_000]
+    with open(token_counts.default_model(), encoding="utf-8") as f:
+        counter = token_counts.PrefixTokenCounter(f.read(), largest_cache=50)
+    count = lambda t: len(counter.library.encode(t, add_special_tokens=False).ids)
+    for budget in (0, 3, 2048):
+        total, cut = counter.column(pa.array(texts), budget)
+        for text, n, k in zip(texts, total.tolist(), cut.tolist()):
+            text = text or ""
+            assert n == count(text)
+            assert k == (max(j for j in range(len(text) + 1) if count(text[:j]) <= budget) if len(text) < 1000 else 5 * budget)
 
 
 def fingerprint(text):
