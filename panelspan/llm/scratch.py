@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Written tables of at most so many bytes of files are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="panelspan-")
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (tests, a notebook on one machine) a local folder is used.
+    Only where that setting is missing and the session runs on one machine (tests, a notebook) a local folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="panelspan-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/panelspan-{uuid.uuid4().hex}"
 
 
@@ -26,3 +37,9 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files have at most BROADCAST_BYTES; else joins shuffle."""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(table) if int(str(size)) <= BROADCAST_BYTES else table

@@ -354,17 +354,16 @@ def test_fingerprints(docs, rows, nothing, spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a b c a b c").hexdigest()
 
 
-def plain_line_dedup(rows, sims):
-    """``sims``: SimHash of each normalised line, as the operator computes them."""
+def plain_line_dedup(rows):
+    """Groups of places of lines, by edit similarity over all pairs: by words, or by characters if both have fewer than eight words."""
     norm = lambda line: re.sub(r"[\W_]+", " ", line.lower()).strip()
     seen = {}
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(norm(line).split(" ")) >= 3:
+            if norm(line):
                 seen.setdefault(norm(line), []).append((i if i is not None else 1 << 62, t, k))
     parent = {line: line for line in seen}
     find = lambda x: x if parent[x] == x else find(parent[x])
-    edges = [round(64 * k / 5) for k in range(6)]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -374,14 +373,16 @@ def plain_line_dedup(rows, sims):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         return row[-1]
 
+    def alike(a, b):
+        most = int(0.2 * max(len(a), len(b)) + 1e-9)
+        return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
     lines = sorted(seen)
     for a in lines:
         for b in lines:
-            differ = (sims[a] ^ sims[b]) % 2**64
-            blocks = sum(not (differ >> edges[k]) % (1 << (edges[k + 1] - edges[k])) for k in range(5))
-            if a < b and blocks >= 2 and differ.bit_count() <= 8:
+            if a < b and find(a) != find(b):
                 x, y = a.split(), b.split()
-                if distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                if alike(x, y) or (max(len(x), len(y)) < 8 and alike(a, b)):
                     parent[find(a)] = find(b)
     groups = {}
     for line, places in seen.items():
@@ -405,10 +406,7 @@ def test_line_dedup(spark, nothing):
         rows.append((k, "\n".join([*own, "too short", "", "---"])))
     rows += [(50, ""), (51, None), (52, rows[0][1]), (None, rows[1][1])]
     docs = spark.createDataFrame([(i, t, 7, "x", 3) for i, t in rows], "doc_id long, text string, h int, pos string, n_lines int")
-    norm = lambda line: re.sub(r"[\W_]+", " ", line.lower()).strip()
-    lines = sorted({norm(x) for _, t in rows for x in (t or "").split("\n") if len(norm(x).split(" ")) >= 3})
-    sims = {lines[r.k]: r.sim for r in line_dedup.with_simhash(spark.createDataFrame(list(enumerate(lines)), "k int, line string"), ["k"]).collect()}
-    groups = plain_line_dedup(rows, sims)
+    groups = plain_line_dedup(rows)
     gone = {}
     for places in groups.values():
         # Of one document's rows with one text, all lines share a place; ties between texts go by a hash, which these rows don't need.
