@@ -44,3 +44,56 @@ def newey_west(series: DataFrame, order: str, value: str, lags: int) -> DataFram
     for t in terms[1:]:
         total = total + t
     return m.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.avg("v") / F.sqrt(total / F.count("*"))).alias("t"))
+
+
+def pooled_correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, pearson and spearman over all rows with both. Ranks come from counts of the different values, in ranges, so that
+    no task sees all rows."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    for c in ("x", "y"):
+        both = both.join(global_ranks(both, c), c)
+    return both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("r_x", "r_y").alias("spearman"))
+
+
+def global_ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, r_value): the average rank of each different value over all rows; ranges of values are counted first, then ranked apart."""
+    counts = df.groupBy(value).agg(F.count("*").alias("k"))
+    parted = counts.repartitionByRange(F.col(value)).withColumn("p", F.spark_partition_id())
+    before = parted.groupBy("p").agg(F.sum("k").alias("s")).select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("before"))
+    upto = F.sum("k").over(Window.partitionBy("p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.join(F.broadcast(before), "p").select(value, (F.col("before") + upto - (F.col("k") - 1) / 2).alias(f"r_{value}"))
+
+
+def concentration(weights: DataFrame, by: list[str], name: str, weight: str) -> DataFrame:
+    """(by, hhi, top5, breadth, gross, net, long_names, short_names) of signed weights."""
+    size = F.abs(F.col(weight))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(size.desc(), name))
+    gross, square = F.sum(size), F.sum(F.col(weight) * F.col(weight))
+    return weights.withColumn("_k", rank).groupBy(*by).agg(
+        (square / F.nullif(gross * gross, F.lit(0.0))).alias("hhi"), (F.sum(F.when(F.col("_k") <= 5, size)) / F.nullif(gross, F.lit(0.0))).alias("top5"), (gross * gross / F.nullif(square, F.lit(0.0))).alias("breadth"),
+        gross.alias("gross"), F.sum(weight).alias("net"), F.count(F.when(F.col(weight) > 0, 1)).alias("long_names"), F.count(F.when(F.col(weight) < 0, 1)).alias("short_names"),
+    )
+
+
+def r2_family(df: DataFrame, name: str, date: str, y: str, fitted: str, least: int) -> DataFrame:
+    """One row: total R2, the median over names with ``least`` rows, the mean over dates, and the sum of errors by that of sizes."""
+    e = (F.col(y) - F.col(fitted)) ** 2
+    r2 = 1 - F.sum(e) / F.nullif(F.sum(F.col(y) ** 2), F.lit(0.0))
+    names = df.groupBy(name).agg(r2.alias("r"), F.count("*").alias("n")).where(F.col("n") >= least).agg(F.median("r").alias("median_name"))
+    dates = df.groupBy(date).agg(r2.alias("r")).agg(F.avg("r").alias("mean_date"))
+    total = df.agg(r2.alias("total"), (F.sum(F.abs(F.col(y) - F.col(fitted))) / F.sum(F.abs(y))).alias("pricing_error"))
+    return total.join(names).join(dates)
+
+
+def net_sharpe(daily: DataFrame, gain: str, turnover: str, cost: float, days: int = 252) -> DataFrame:
+    """One row: days, sharpe, net_sharpe after ``cost`` a unit of turnover, and break_even, the cost that eats all."""
+    net = F.col(gain) - cost * F.col(turnover)
+    yearly = lambda c: F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * days**0.5
+    return daily.agg(F.count("*").alias("days"), yearly(F.col(gain)).alias("sharpe"), yearly(net).alias("net_sharpe"), (F.avg(gain) / F.nullif(F.avg(turnover), F.lit(0.0))).alias("break_even"))
+
+
+def gain_by_slice(df: DataFrame, by: str, old: Column, new: Column) -> DataFrame:
+    """(by, n, mae_old, mae_new, rmse_new, gain, t) of absolute errors, with a row over all slices; t is of the mean saving."""
+    saved = old - new
+    t = F.avg(saved) / F.nullif(F.stddev_samp(saved), F.lit(0.0)) * F.sqrt(F.count("*"))
+    return df.rollup(by).agg(F.count("*").alias("n"), F.avg(old).alias("mae_old"), F.avg(new).alias("mae_new"), F.sqrt(F.avg(new * new)).alias("rmse_new"), (1 - F.avg(new) / F.nullif(F.avg(old), F.lit(0.0))).alias("gain"), t.alias("t"))

@@ -32,3 +32,12 @@ def shrunk_means(df: DataFrame, group: str, value: str, k: float) -> DataFrame:
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("own")).join(F.broadcast(pooled))
     w = F.col("n") / (F.col("n") + k)
     return g.withColumn("shrunk", w * F.col("own") + (1 - w) * F.col("_pool")).drop("_pool")
+
+
+def empirical_bayes(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, own, shrunk): means of groups of two rows and more pulled to the mean of the means by tau2 / (tau2 + se2), where tau2 is
+    what the means vary by beyond their own errors."""
+    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("own"), (F.var_samp(value) / F.count(value)).alias("_se2")).where("n > 1")
+    t = g.agg(F.greatest(F.lit(0.0), F.var_pop("own") - F.avg("_se2")).alias("_tau2"), F.avg("own").alias("_grand"))
+    share = F.coalesce(F.col("_tau2") / F.nullif(F.col("_tau2") + F.col("_se2"), F.lit(0.0)), F.lit(0.0))
+    return g.join(F.broadcast(t)).withColumn("shrunk", F.col("_grand") + share * (F.col("own") - F.col("_grand"))).select(group, "n", "own", "shrunk")

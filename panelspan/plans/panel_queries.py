@@ -334,10 +334,10 @@ def ordinal_tier_match(spark, sf):
     return match.ordinal_match(a, b, ["part", "l_quantity"], ["sell_order", "sl"], ["buy_order", "bl"]).select("part", "sell_order", "buy_order")
 
 
-FIFO = """WITH x AS (SELECT l_partkey AS e, l_shipdate AS ts, l_orderkey AS o, l_linenumber AS ln, l_orderkey * 100 + l_linenumber AS id, l_returnflag <> 'R' AS buy, l_quantity AS q FROM lineitem WHERE l_quantity > 0),
+FIFO = """WITH x AS MATERIALIZED (SELECT l_partkey AS e, l_shipdate AS ts, l_orderkey AS o, l_linenumber AS ln, l_orderkey * 100 + l_linenumber AS id, l_returnflag <> 'R' AS buy, l_quantity AS q FROM lineitem WHERE l_quantity > 0),
  c AS (SELECT *, sum(CASE WHEN buy THEN q ELSE 0 END) OVER w AS bb, sum(CASE WHEN buy THEN 0 ELSE q END) OVER w AS ss FROM x WINDOW w AS (PARTITION BY e ORDER BY ts, o, ln)),
- u AS (SELECT *, greatest(0, max(ss - bb) OVER (PARTITION BY e ORDER BY ts, o, ln)) AS un FROM c), v AS (SELECT *, coalesce(lag(un) OVER (PARTITION BY e ORDER BY ts, o, ln), 0) AS u0 FROM u),
- s AS (SELECT e, id AS sell_id, ss - q - u0 AS s0, ss - un AS s1 FROM v WHERE NOT buy), b AS (SELECT e, id AS buy_id, bb - q AS b0, bb AS b1 FROM v WHERE buy),
+ u AS (SELECT *, greatest(0, max(ss - bb) OVER (PARTITION BY e ORDER BY ts, o, ln)) AS un FROM c), v AS MATERIALIZED (SELECT *, coalesce(lag(un) OVER (PARTITION BY e ORDER BY ts, o, ln), 0) AS u0 FROM u),
+ s AS MATERIALIZED (SELECT e, id AS sell_id, ss - q - u0 AS s0, ss - un AS s1 FROM v WHERE NOT buy), b AS MATERIALIZED (SELECT e, id AS buy_id, bb - q AS b0, bb AS b1 FROM v WHERE buy),
  f AS (SELECT b.e AS part, buy_id, sell_id, least(b1, s1) - greatest(b0, s0) AS par FROM b JOIN s ON b.e = s.e AND b0 < s1 AND s0 < b1 WHERE s1 > s0)"""
 
 
@@ -356,9 +356,13 @@ def fifo_lot_rollup(spark, sf):
     return _fifo(spark, sf).groupBy("part").agg(F.count("*").alias("pairs"), F.sum("par").alias("par"))
 
 
-@query(f"WITH {PANEL}, g AS (SELECT user_id, d, value - avg(value) OVER (PARTITION BY d, event_type) AS dm FROM p) SELECT user_id, d, round(dm, 4) AS demeaned FROM g")
+@query(f"WITH {PANEL}, g AS (SELECT user_id, d, CAST(round(value * 100) AS BIGINT) AS c, sum(CAST(round(value * 100) AS BIGINT)) OVER w AS s, count(value) OVER w AS n FROM p WINDOW w AS (PARTITION BY d, event_type)) SELECT user_id, d, CAST(c * n - s AS DOUBLE) / CAST(100 * n AS DOUBLE) AS demeaned FROM g")
 def neutralized_demean(spark, sf):
-    return panel(spark, sf).select("user_id", "d", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("d", "event_type")), 4).alias("demeaned"))
+    # In whole hundredths: sums don't hang on their order then.
+    cell = Window.partitionBy("d", "event_type")
+    p = panel(spark, sf).withColumn("c", F.round(F.col("value") * 100).cast("long"))
+    n = F.count("c").over(cell)
+    return p.select("user_id", "d", ((F.col("c") * n - F.sum("c").over(cell)).cast("double") / (n * 100).cast("double")).alias("demeaned"))
 
 
 @query("SELECT o_orderpriority, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 4) AS intercept FROM orders GROUP BY 1")

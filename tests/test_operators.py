@@ -1,18 +1,20 @@
 """Operators against brute force and the edge cases of panels."""
 
+import hashlib
 import random
 from collections import deque
 from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from panelspan.functions import scalar
-from panelspan.operators import asof, grid, match, robust
+from panelspan.functions import scalar, special
+from panelspan.operators import asof, grid, match, regression, robust, series
 from panelspan.operators import window as W
 from panelspan.plans import factor
-from panelspan.sources import store
+from panelspan.sources import pull, store
 from panelspan.streaming.bars import daily_bars, upsert_keep_last
 
 
@@ -102,13 +104,13 @@ def test_walk_forward_uses_only_the_past(spark):
     rng = np.random.default_rng(3)
     rows = [(t, n, *z, float(z @ [0.5, -0.2] * (1 + t % 3))) for t in range(12) for n in range(15) for z in [rng.normal(size=2)]]
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "d double, n double, z0 double, z1 double, r double")
-    out = factor.walk_forward_residuals(df, "d", ["z0", "z1"], "r", 1, 6, 2).toPandas()
+    out = factor.walk_forward_residuals(df, "d", ["z0", "z1"], "r", 1, [(np.arange(12) < a, (np.arange(12) >= a) & (np.arange(12) < a + 2)) for a in (6, 8, 10)]).toPandas()
     assert (out.gamma_version < out.d).all() and out.residual.abs().max() < 1e-6 and sorted(out.d.unique()) == [6, 7, 8, 9, 10, 11]
 
 
 def test_store_overwrites_merges_and_plans(spark, tmp_path):
     s = store.PartitionStore(spark, "file://" + str(tmp_path / "t"))
-    windows = store.month_partitions(date(2024, 1, 10), date(2024, 2, 20))
+    windows = store.partitions(date(2024, 1, 10), date(2024, 2, 20))
     assert windows == [("2024-01", date(2024, 1, 10), date(2024, 2, 1)), ("2024-02", date(2024, 2, 1), date(2024, 2, 21))]
     assert s.missing(windows) == ["2024-01", "2024-02"]
     s.write(spark.createDataFrame([(1, 1.0, "2024-01"), (2, 2.0, "2024-02")], "id int, v double, pkey string"), windows)
@@ -119,8 +121,90 @@ def test_store_overwrites_merges_and_plans(spark, tmp_path):
 
 def test_closing_marks_order(spark):
     rows = [("c", 1, None, "B", 0.031, 1), ("c", 1, datetime(2024, 1, 1), "A", 0.04, 2), ("c", 1, datetime(2024, 1, 2), "B", 0.05, 1), ("c", 1, datetime(2024, 1, 2), "B", 0.06, 2)]
-    df = spark.createDataFrame(rows, "CUSIP string, DATE int, PUBLISHTIME timestamp, SOURCESYSTEM string, YIELD double, OMDSEQ int")
-    assert [round(r.YIELD, 9) for r in store.closing_marks(df).collect()] == [6.0]
+    rows += [("c", 2, None, "A", float("inf"), 1), ("c", 3, None, "A", 0.07, 1)]
+    df = spark.createDataFrame(rows, "ident string, date int, published timestamp, source string, level double, sequence int")
+    marks, audit = store.closing_marks(df, window=(1, 2))
+    assert [round(r.level, 9) for r in marks.orderBy("date").collect()] == [6.0, float("inf")]
+    assert tuple(audit.first()) == (5, 2, 1, 2)
+
+
+def test_weeks_and_empty_windows(spark, tmp_path):
+    assert store.partitions(date(2024, 1, 3), date(2024, 1, 9), "week") == [("2024-W01", date(2024, 1, 3), date(2024, 1, 8)), ("2024-W02", date(2024, 1, 8), date(2024, 1, 10))]
+    assert store.partitions(date(2024, 2, 1), date(2024, 1, 1)) == []
+    s = store.PartitionStore(spark, "file://" + str(tmp_path / "t"))
+    windows = store.partitions(date(2024, 1, 1), date(2024, 2, 20))
+    s.write(spark.createDataFrame([(1, "2024-01"), (2, "2024-02")], "id int, pkey string"), windows)
+    s.write(spark.createDataFrame([], "id int, pkey string"), windows[1:])
+    assert [r.id for r in s.read().collect()] == [1] and {r.pkey: r.rows for r in s.manifest().collect()} == {"2024-01": 1, "2024-02": 0}
+
+
+def test_asof_never_matches_nulls(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, "a", None), (3, "a", 5), (4, "b", 1)], "id int, k string, t int")
+    right = spark.createDataFrame([(None, 1, 1.0), ("a", None, 10.0), ("b", 2, 3.0)], "k string, u int, v double")
+    for forward, want in ((False, {}), (True, {4: 3.0})):
+        got = asof.asof_join(left, right, ["k"], "t", "u", ["v"], forward=forward)
+        assert {r.id: r.asof_v for r in got.collect() if r.asof_v is not None} == want and got.count() == 4
+
+
+def test_retries_and_kept_answers(spark, tmp_path):
+    calls, naps = [], []
+
+    def shaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return 7
+
+    assert pull.retried(shaky, sleep=naps.append) == 7 and naps == [1.0, 2.0]
+    with pytest.raises(OSError):
+        pull.retried(lambda: (_ for _ in ()).throw(OSError("never")), attempts=2, sleep=naps.append)
+    cache = "file://" + str(tmp_path / "answers")
+    ask = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "key string")
+    got = pull.enriched(ask, "key", cache, lambda keys: [k.upper() for k in keys])
+    assert sorted(map(str, (r.answer for r in got.collect()))) == ["A", "A", "B", "None"]
+    again = pull.enriched(ask, "key", cache, lambda keys: [1 / 0])
+    assert again.where("answer is not null").count() == 3
+    path = "file://" + str(tmp_path / "measures")
+    pull.record(spark, path, "fit", k=3, loss=0.5)
+    pull.record(spark, path, "fit", k=4)
+    assert {(r.name, r.value) for r in pull.recorded(spark, path).collect()} == {("k", "4"), ("loss", "0.5")}
+
+
+def test_normal_quantile_and_bootstrap(spark):
+    from statistics import NormalDist
+
+    values = [1e-9, 0.01, 0.02425, 0.3, 0.5, 0.9, 0.999999, 0.0, 1.0]
+    got = [r.z for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, p double").select("k", special.norm_ppf(F.col("p")).alias("z")).orderBy("k").collect()]
+    assert got[-2:] == [None, None] and all(abs(z - NormalDist().inv_cdf(p)) < 1e-7 for z, p in zip(got, values[:-2]))
+    x = [0.3, -0.1, 0.8, 0.2, 0.9, -0.4, 0.5, 0.7]
+    row = series.block_bootstrap_t(spark.createDataFrame(list(enumerate(x)), "d int, v double"), "d", "v", block=3, draws=40).first()
+    means = []
+    for draw in range(1, 41):
+        starts = [int(hashlib.md5(f"7-{draw}-{b}".encode()).hexdigest()[:8], 16) % (len(x) - 2) for b in range(1, 4)]
+        means.append(sum(sum(x[s : s + 3]) for s in starts) / 9)
+    assert abs(row.t - (sum(x) / 8) / np.std(means)) < 1e-9
+
+
+def test_percentile_by_bins(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=500), np.round(rng.normal(size=301), 1), np.zeros(7), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        for share in (0.0, 0.1, 0.5, 0.99, 1.0):
+            assert abs(series.exact_percentile(df, "v", share, bins=16).first().value - np.quantile(values, share)) < 1e-12
+
+
+def test_least_squares_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    y = x @ [1.0, -2.0, 0.5] + 4 + rng.normal(size=90)
+    rows = [(k % 2, *map(float, x[k]), float(y[k])) for k in range(90)] + [(7, 1.0, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0, 1.0)] + [(8, float(k), 2.0 * k, 1.0, float(k)) for k in range(9)]
+    got = {r.g: r for r in regression.least_squares(spark.createDataFrame(rows, "g int, a double, b double, c double, y double"), ["g"], ["a", "b", "c"], "y").collect()}
+    assert set(got) == {0, 1}
+    for g in (0, 1):
+        z = np.column_stack([np.ones(45), x[g::2]])
+        beta, rss = np.linalg.lstsq(z, y[g::2])[:2]
+        se = np.sqrt(rss[0] / 41 * np.diag(np.linalg.inv(z.T @ z)))
+        assert np.allclose(got[g].beta, beta) and np.allclose(got[g].se, se) and abs(got[g].r2 - (1 - rss[0] / ((y[g::2] - y[g::2].mean()) ** 2).sum())) < 1e-9
 
 
 def test_streams(spark, tmp_path):

@@ -8,11 +8,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from panelspan.plans import model_queries, panel_queries, quote_queries
+import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = panel_queries.QUERIES | model_queries.QUERIES | quote_queries.QUERIES
-ORACLES = panel_queries.ORACLES | model_queries.ORACLES | quote_queries.ORACLES
+QUERIES = entry.LIBRARY
+ORACLES = entry.LIBRARY_SQL
 
 
 @pytest.fixture(scope="module")
