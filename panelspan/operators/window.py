@@ -56,17 +56,34 @@ def fill(value: str, by: list[str], order: list[str], backward: bool = False) ->
     return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def decayed_sums(df: DataFrame, key: str, day: str, value: str, halflife: float) -> DataFrame:
-    """(key, day, decayed): acc = acc * 0.5 ** (days since the row before / halflife) + value, in order of the days.
+def decayed(df: DataFrame, by: list[str], at: str, value: str, halflife: float, name: str, before: bool = False, order: list[str] | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of the values up to each row, each halved for every ``halflife`` of ``at`` (a number) that has passed;
+    ``before`` leaves the row itself out.
 
-    One row a (key, day) is expected. A key's days are folded inside the JVM, so their number must fit one row.
+    Values are scaled up from the beginning of their block of 400 half-lives, so running sums do; of earlier blocks
+    only the last one still counts in double precision. A key's rows are read in order, never gathered.
     """
-    start = F.struct(F.lit(None).cast("date").alias("day"), F.lit(0.0).alias("acc"), F.array().cast("array<struct<day:date,acc:double>>").alias("out"))
+    span = 400 * halflife
+    block = F.floor(F.col(at) / span)
+    scaled = df.withColumns({"_b": block, "_x": F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * F.pow(F.lit(2.0), (F.col(at) - block * span) / halflife)})
+    w = Window.partitionBy(*by, "_b").orderBy(at, *(order or [])).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    run = F.coalesce(F.sum("_x").over(w), F.lit(0.0))
+    totals = scaled.groupBy(*by, (F.col("_b") + 1).alias("_b")).agg(F.sum("_x").alias("_carry"))
+    out = scaled.withColumn("_run", run).join(totals, [*by, "_b"], "left")
+    since = (F.col(at) - F.col("_b") * span) / halflife
+    value = (F.col("_run") + F.coalesce("_carry", F.lit(0.0)) * 2.0**-400) * F.pow(F.lit(2.0), -since)
+    return out.withColumn(name, value).select(*df.columns, name)
+
 
-    def step(state, row):
-        gap = F.coalesce(F.datediff(row["day"], state["day"]), F.lit(0))
-        acc = state["acc"] * F.pow(F.lit(0.5), gap / halflife) + row["value"]
-        return F.struct(row["day"].alias("day"), acc.alias("acc"), F.concat(state["out"], F.array(F.struct(row["day"].alias("day"), acc.alias("acc")))).alias("out"))
+def decayed_sums(df: DataFrame, key: str, day: str, value: str, halflife: float) -> DataFrame:
+    """(key, day, decayed): the sum of a key's values up to each day, halved for every ``halflife`` days. One row a (key, day) is expected."""
+    numbered = df.select(key, day, value, F.datediff(day, F.lit("1970-01-01").cast("date")).alias("_at"))
+    return decayed(numbered, [key], "_at", value, halflife, "decayed").select(key, day, "decayed")
 
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), F.col(value).cast("double").alias("value")))).alias("rows"))
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("s")).select(key, F.col("s.day").alias(day), F.col("s.acc").alias("decayed"))
+
+def remembered(df: DataFrame, by: list[str], order: list[str], value: str, halflife: float, name: str) -> DataFrame:
+    """``df`` with ``name``: the mean of a key's earlier values, halved in weight with every ``halflife`` rows; null on its first row."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    counted = df.withColumns({"_k": F.row_number().over(w), "_one": F.lit(1.0)})
+    both = decayed(decayed(counted, by, "_k", value, halflife, "_sum", before=True), by, "_k", "_one", halflife, "_weight", before=True)
+    return both.withColumn(name, F.when(F.col("_k") > 1, F.col("_sum") / F.col("_weight"))).select(*df.columns, name)
