@@ -32,6 +32,8 @@ NON_SPACE = _table(set(range(256)) - {0x20, *range(0x09, 0x0E)})
 ALNUM = _table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: First byte of the Latin letters of two bytes.
+LATIN = 0xC3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +73,28 @@ def column_bytes(column: pa.Array) -> Bytes:
     return Bytes(out, offsets - offsets[0])
 
 
+def plain_rows(text: Bytes) -> np.ndarray:
+    """For each row, whether its characters are ASCII or Latin letters of two bytes (but for the signs of times and division)."""
+    data = text.used
+    high = np.flatnonzero(data >= 0x80)
+    first = data[high] == LATIN
+    follows = np.zeros(len(high), bool)
+    follows[1:] = first[:-1] & (high[1:] == high[:-1] + 1)
+    bad = high[~(first | follows) | (follows & ((data[high] == 0x97) | (data[high] == 0xB7)))]
+    out = np.ones(len(text.offsets) - 1, bool)
+    out[np.searchsorted(text.offsets, bad, "right") - 1] = False
+    return out
+
+
+def lowered(text: Bytes) -> Bytes:
+    """Plain texts in lower case."""
+    data = LOWER[text.data]
+    latin = np.flatnonzero(data[:-1] == LATIN) + 1
+    latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
+    data[latin] += 0x20
+    return Bytes(data, text.offsets)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:

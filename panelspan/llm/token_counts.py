@@ -38,7 +38,7 @@ KIND = np.full(256, 3, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = 0
 KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 KIND[0x30:0x3A] = 2
-APOSTROPHE, LATIN = 0x27, 0xC3
+APOSTROPHE = 0x27
 
 
 def default_model() -> str:
@@ -53,28 +53,6 @@ def _trimmed(text: str, end: int) -> int:
     return end
 
 
-def plain_rows(text: T.Bytes) -> np.ndarray:
-    """For each row, whether its characters are ASCII or Latin letters of two bytes (but for the signs of times and division)."""
-    data = text.used
-    high = np.flatnonzero(data >= 0x80)
-    first = data[high] == LATIN
-    follows = np.zeros(len(high), bool)
-    follows[1:] = first[:-1] & (high[1:] == high[:-1] + 1)
-    bad = high[~(first | follows) | (follows & ((data[high] == 0x97) | (data[high] == 0xB7)))]
-    out = np.ones(len(text.offsets) - 1, bool)
-    out[np.searchsorted(text.offsets, bad, "right") - 1] = False
-    return out
-
-
-def lowered(text: T.Bytes) -> T.Bytes:
-    """Plain texts in lower case."""
-    data = T.LOWER[text.data]
-    latin = np.flatnonzero(data[:-1] == LATIN) + 1
-    latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
-    data[latin] += 0x20
-    return T.Bytes(data, text.offsets)
-
-
 def plain_words(text: T.Bytes) -> T.Words:
     """Words of plain texts in lower case, by PATTERN."""
     data = text.used
@@ -226,11 +204,11 @@ class PrefixTokenCounter:
     def column(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
         """For each text, its tokens and the code points of its longest prefix of at most ``budget`` tokens."""
         raw = T.column_bytes(texts)
-        plain = plain_rows(raw) if self.plain else np.zeros(len(texts), bool)
+        plain = T.plain_rows(raw) if self.plain else np.zeros(len(texts), bool)
         filled = pc.fill_null(texts, "")
         for s in self.special:
             plain &= ~pc.match_substring(filled, s).to_numpy(zero_copy_only=False).astype(bool)
-        text = lowered(raw)
+        text = T.lowered(raw)
         if not plain.all():
             # The other texts are taken out, as none of their bytes are words here.
             keep = np.repeat(plain, np.diff(raw.offsets))
