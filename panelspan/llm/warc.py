@@ -97,51 +97,84 @@ class _Window:
         self.start += count
 
 
-def _inflate(window: _Window, at: int, check: bool) -> tuple[bytes, int] | None:
-    """The member that begins at ``at`` and where it ends; none if none begins there (with ``check``: none of a WARC record)."""
+class Broken(ValueError):
+    """A member that doesn't decode, though one has to begin there."""
+
+
+def _inflate(window: _Window, at: int, certain: bool) -> tuple[bytes, int] | None:
+    """The member that begins at ``at`` and where it ends.
+
+    A mere candidate gives none if nothing decodes there, or something that isn't a WARC record. From the moment that a WARC record is seen, and
+    where a member surely begins (``certain``), what doesn't decode to its end raises.
+    """
     machine, out, size = zlib.decompressobj(31), [], 0
+    seen = certain
+
+    def broken(why: str) -> None:
+        if seen:
+            raise Broken(f"the member at byte {window.start + at0} {why}")
+
+    at0 = at
     while True:
         part = bytes(window.data[at : at + (1 << 16)])
         if not part:
             if not window.more():
-                return None
+                return broken("is cut short")
             continue
         try:
             out.append(machine.decompress(part))
-        except zlib.error:
-            return None
+        except zlib.error as e:
+            return broken(f"is damaged: {e}")
         size += len(out[-1])
-        if check and size >= 5:
-            if not b"".join(out)[:5] == b"WARC/":
+        if not seen and size >= 5:
+            if b"".join(out)[:5] != b"WARC/":
                 return None
-            check = False
+            seen = True
         at += len(part)
         if machine.eof:
-            return None if check else (b"".join(out), at - len(machine.unused_data))
+            return (b"".join(out), at - len(machine.unused_data)) if seen else None
 
 
-def members(file, start: int, end: int) -> Iterator[bytes]:
-    """Decoded members that begin in [start, end) and hold a WARC record."""
+def members(file, start: int, end: int, strict: bool = False) -> Iterator[bytes]:
+    """Decoded members that begin in [start, end) and hold a WARC record.
+
+    A record that has begun and doesn't decode to its end raises. ``strict``: so do other bytes between members.
+    Members stand one after the other, so from the first one on it is known where each has to begin: at the file's beginning, and where
+    the one before ends. What begins there and doesn't decode raises; so does the first one after the range, whose own reader can't tell
+    a damaged beginning from chance bytes. Of a member after the range only its first bytes are decoded.
+    """
     window = _Window(file, start)
-    at = 0
+    at, certain = 0, strict and start == 0
     while window.start + at < end:
-        found = window.data.find(MAGIC, at)
-        if found < 0:
-            # The last two bytes may begin a magic number that the next read completes.
-            window.drop(max(len(window.data) - 2, 0))
-            at = 0
-            if not window.more():
+        if not certain:
+            found = window.data.find(MAGIC, at)
+            if found < 0:
+                # The last two bytes may begin a magic number that the next read completes.
+                window.drop(max(len(window.data) - 2, 0))
+                at = 0
+                if not window.more():
+                    return
+                continue
+            if window.start + found >= end:
                 return
-            continue
-        if window.start + found >= end:
+            at = found
+        elif at >= len(window.data) and not window.more():
             return
-        own = _inflate(window, found, True)
+        own = _inflate(window, at, certain)
         if own is None:
-            at = found + 1
+            at += 1
             continue
-        yield own[0]
+        if own[0][:5] == b"WARC/":
+            yield own[0]
         window.drop(own[1])
-        at = 0
+        at, certain = 0, strict
+    if certain and (at < len(window.data) or window.more()):
+        while len(window.data) < at + 1024 and window.more():
+            pass
+        try:
+            zlib.decompressobj(31).decompress(bytes(window.data[at : at + 1024]))
+        except zlib.error as e:
+            raise Broken(f"the member at byte {window.start + at} is damaged: {e}") from e
 
 
 def parse(data: bytes) -> dict | None:
@@ -175,25 +208,32 @@ def parse(data: bytes) -> dict | None:
     }
 
 
-def read(spark: SparkSession, path: str, columns: list[str] | None = None, split: int = 16 << 20) -> DataFrame:
+def read(spark: SparkSession, path: str, columns: list[str] | None = None, split: int = 16 << 20, strict: bool = True) -> DataFrame:
     """Records (RECORD) of the archives below ``path``, in ranges of ``split`` bytes.
 
-    Members that hold no WARC record are passed over; a record cut short raises an error. An empty folder has no rows.
+    Members that hold no WARC record are passed over. A member that is cut short or damaged, bytes between members and a record shorter than
+    it says raise an error with path and offset; nothing is left out silently. Without ``strict``, bytes that aren't members are passed over. Empty files have no rows, nor has a folder without files.
     """
     names = [c.split(" ")[0] for c in RECORD.split(", ")]
     wanted = [n for n in names if n in (columns or names)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
 
+    def named(found: Iterator[bytes], path: str) -> Iterator[bytes]:
+        try:
+            yield from found
+        except Broken as e:
+            raise Broken(f"{path}: {e}") from e
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rows, size = [], 0
                 with _open(r["path"]) as file:
-                    for data in members(file, r["start"], r["start"] + split):
+                    for data in named(members(file, r["start"], r["start"] + split, strict), r["path"]):
                         found = parse(data)
                         if found is None:
-                            raise ValueError(f"a record of {r['path']} is cut short")
+                            raise Broken(f"{r['path']}: a record is shorter than it says")
                         rows.append({n: found[n] for n in wanted})
                         size += len(data)
                         if size >= 8 << 20:
