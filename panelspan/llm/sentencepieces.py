@@ -4,11 +4,12 @@ The models here are byte-pair encodings. Their encoding of a text is the only se
 neighbours are compatible: encoding the two together gives back the two. That makes it the best path of a max-plus
 problem whose steps weigh 0 (compatible) or minus infinity, and paths can be cut anywhere:
 
-1. A giant text is cut into chunks. Where no piece holds both characters around a cut (a space after a letter, say),
-   the boundary has one state; elsewhere its states are the pieces that may cover the last character before it.
-2. Each chunk gives a matrix from the states at its start to those at its end, alone.
-3. The matrices of a document are combined (the operation is associative); only sums of small matrices are.
-4. The states that the best path takes are known then, and each chunk is encoded between them on its own.
+1. A giant text is cut every so many characters. The states of a cut are the pieces that may cover the last character before it (one
+   state where no piece holds the characters on both sides, a space after a letter, say).
+2. Each chunk gives a matrix from the states at its start to those at its end, alone: paths from its first states to its first place that no piece
+   spans, and from its last such place to its last states; or all the way if it has none.
+3. The matrices of a document are combined in a tree of max-plus products, and on the way back each cut's state is read off.
+4. Each chunk traces its path back between its two states, on its own.
 """
 
 from __future__ import annotations
@@ -52,8 +53,16 @@ class Pieces:
         self.pairs = {w[k : k + 2] for w in words for k in range(len(w) - 1)}
         self.longest = max(map(len, words), default=1)
         self.ids = lru_cache(1 << 20)(lambda text: tuple(self.bare.encode(text)))
+        #: Whether a run of characters is a piece that its own encoding gives.
+        self.proper = lru_cache(1 << 18)(lambda own: own in self.vocabulary and len(self.ids(own)) == 1)
+        self.single = lru_cache(1 << 16)(self._one)
         self.compatible = lru_cache(1 << 20)(lambda a, b: a[-1] + b[0] not in self.pairs or self.ids(a + b) == self.ids(a) + self.ids(b))
 
+    def _one(self, piece: str) -> tuple[int, ...]:
+        """The piece's own number, or, for a character that is none, its bytes'."""
+        found = self.bare.piece_to_id(piece.replace(" ", "▁"))
+        return (found,) if found != self.bare.unk_id() else self.ids(piece)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
@@ -61,53 +70,101 @@ class Pieces:
         return self.library.decode(ids, num_threads=1)
 
     def cuts(self, text: str, size: int) -> list[int]:
-        """Where to cut: at most ``size`` characters apart, where possible at a place that no piece spans."""
-        out, at = [0], 0
-        while len(text) - at > size:
-            hard = next((k for k in range(at + size, at + size // 2, -1) if text[k - 1 : k + 1] not in self.pairs), None)
-            at = hard or at + size
-            out.append(at)
-        return [*out, len(text)]
+        """Every ``size`` characters, wherever that is."""
+        return [*range(0, max(len(text), 1), size), len(text)]
+
+    def firm(self, text: str, at: int) -> bool:
+        """Whether no piece holds the characters on both sides."""
+        return at <= 0 or at >= len(text) or text[at - 1 : at + 1] not in self.pairs
 
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """Pieces (start, end) that may cover the character before ``cut``; (cut, cut) alone where none spans it."""
-        if cut in (0, len(text)) or text[cut - 1 : cut + 1] not in self.pairs:
+        if self.firm(text, cut):
             return [(cut, cut)]
-        return [(a, b) for a in range(max(0, cut - self.longest), cut) for b in range(cut, min(len(text), a + self.longest) + 1) if text[a:b] in self.vocabulary or b == a + 1]
-
-    def matrix(self, text: str, enter: list[tuple[int, int]], leave: list[tuple[int, int]]) -> np.ndarray:
-        """0 where a path of compatible pieces leads from a state to another, else minus infinity."""
-        out = np.full((len(enter), len(leave)), MINUS)
-        if enter[0][0] == enter[0][1] and leave[0][0] == leave[0][1]:
-            out[:] = 0
-            return out
-        # reach[end][piece]: a bit for each state at the start from which a path ends with this piece there.
-        reach: dict[int, dict[tuple[int, int], int]] = {}
+        low = next((k for k in range(cut - 1, cut - self.longest, -1) if self.firm(text, k)), max(0, cut - self.longest))
+        high = next((k for k in range(cut + 1, cut + self.longest) if self.firm(text, k)), min(len(text), cut + self.longest))
+        return [(a, b) for a in range(low, cut) for b in range(cut, min(high, a + self.longest) + 1) if b == a + 1 or self.proper(text[a:b])]
+
+    def _reach(self, text: str, enter: list[tuple[int, int]], leave: list[tuple[int, int]]) -> dict[tuple[int, int], dict]:
+        """All pieces on compatible paths that go on from a state of ``enter``, up to the ends of ``leave``: by piece, the states (bits) that it is
+        reached from, and the piece before for each of them."""
+        reach: dict[tuple[int, int], tuple[int, list]] = {}
+        by_end: dict[int, set] = {}
         for k, state in enumerate(enter):
-            reach.setdefault(state[1], {})[state] = 1 << k
-        goal = {state: k for k, state in enumerate(leave)}
-        stop = leave[0][0] if leave[0][0] == leave[0][1] else max(b for _, b in leave)
-        begin = min(reach)
-        for at in range(begin, stop + 1):
-            before = reach.get(at)
+            reach[state] = (1 << k, [])
+            by_end.setdefault(state[1], set()).add(state)
+        stop = max(b for _, b in leave)
+        for at in range(min(by_end), stop + 1):
+            before = by_end.get(at)
             if not before:
                 continue
-            for piece, bits in before.items():
-                if (k := goal.get(piece, goal.get((at, at)))) is not None:
-                    for s in range(len(enter)):
-                        if bits >> s & 1:
-                            out[s, k] = 0
             for end in range(at + 1, min(len(text), at + self.longest, stop) + 1):
                 own = text[at:end]
-                if end > at + 1 and own not in self.vocabulary:
+                if end > at + 1 and not self.proper(own):
+                    if self.firm(text, end):
+                        break
                     continue
-                bits = 0
-                for (a, b), mask in before.items():
+                bits, froms = 0, []
+                for piece in before:
+                    a, b = piece
                     if a == b or self.compatible(text[a:b], own):
-                        bits |= mask
+                        bits |= reach[piece][0]
+                        froms.append(piece)
                 if bits:
-                    reach.setdefault(end, {})[(at, end)] = reach.get(end, {}).get((at, end), 0) | bits
-        return out
+                    reach[at, end] = (bits, froms)
+                    by_end.setdefault(end, set()).add((at, end))
+                if self.firm(text, end):
+                    break
+        return reach
+
+    def _ends(self, reach: dict, leave: tuple[int, int]) -> list[tuple[int, int]]:
+        """Pieces of ``reach`` with which a path is at a state: the state itself, or, at a place that no piece spans, all that end there."""
+        return [p for p in reach if p[1] == leave[1]] if leave[0] == leave[1] else [leave] if leave in reach else []
+
+    def fringes(self, text: str, enter: list[tuple[int, int]], leave: list[tuple[int, int]], low: int, high: int) -> tuple[int, int] | None:
+        """The first and the last place between two cuts that no piece spans; paths only depend on the states up to and from there. None without one."""
+        first = next((k for k in range(low, high + 1) if self.firm(text, k)), None)
+        return None if first is None else (first, next(k for k in range(high, first - 1, -1) if self.firm(text, k)))
+
+    def matrix(self, text: str, enter: list[tuple[int, int]], leave: list[tuple[int, int]], low: int, high: int) -> np.ndarray:
+        """0 where a path of compatible pieces leads from a state at the cut ``low`` to one at ``high``, else minus infinity."""
+
+        def paths(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> np.ndarray:
+            if a == b:
+                return np.where(np.eye(len(a), dtype=bool), 0.0, MINUS)
+            reach = self._reach(text, a, b)
+            out = np.full((len(a), len(b)), MINUS)
+            for k, state in enumerate(b):
+                bits = 0
+                for piece in self._ends(reach, state):
+                    bits |= reach[piece][0]
+                out[[s for s in range(len(a)) if bits >> s & 1], k] = 0
+            return out
+
+        span = self.fringes(text, enter, leave, low, high)
+        if span is None:
+            return paths(enter, leave)
+        return product(paths(enter, [(span[0], span[0])]), paths([(span[1], span[1])], leave))
+
+    def backtrace(self, text: str, enter: tuple[int, int], leave: tuple[int, int], low: int, high: int) -> list[int]:
+        """The pieces after the state ``enter`` up to and with ``leave``, from the path found between them. Between the first and the last place
+        that no piece spans there is one state at each such place, and the library encodes what lies there."""
+
+        def pieces(a: tuple[int, int], b: tuple[int, int]) -> list[int]:
+            if a == b or a[1] == b[0] == b[1]:
+                return []
+            reach = self._reach(text, [a], [b])
+            at, out = self._ends(reach, b)[0], []
+            while at != a:
+                out.append(at)
+                at = reach[at][1][0]
+            return [x for i, j in reversed(out) for x in self.single(text[i:j])]
+
+        span = self.fringes(text, [enter], [leave], low, high)
+        if span is None:
+            return pieces(enter, leave)
+        first, last = span
+        return [*pieces(enter, (first, first)), *self.bare.encode(text[first:last]), *pieces((last, last), leave)]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,15 +173,21 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary of the best path: products from the right, then choices from the left."""
-    tails = [np.zeros((matrices[-1].shape[1], 1))]
-    for m in reversed(matrices):
-        tails.append(product(m, tails[-1]))
-    tails.reverse()
-    out = [0]
-    for m, tail in zip(matrices, tails[1:], strict=True):
-        out.append(int(np.argmax(m[out[-1]] + tail[:, 0])))
-    return out
+    """The state at each boundary of the best path, by a scan: products of neighbours go up a tree; on the way down each product
+    that covers two chunks says which state between them the best path takes."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        own = levels[-1]
+        levels.append([product(own[k], own[k + 1]) if k + 1 < len(own) else own[k] for k in range(0, len(own), 2)])
+    ends = [0, int(np.argmax(levels[-1][0][0]))]
+    for own in reversed(levels[:-1]):
+        below = []
+        for k in range(0, len(own), 2):
+            below.append(ends[k // 2])
+            if k + 1 < len(own):
+                below.append(int(np.argmax(own[k][ends[k // 2]] + own[k + 1][:, ends[k // 2 + 1]])))
+        ends = [*below, ends[-1]]
+    return ends
 
 
 def encode_in_chunks(pieces: Pieces, text: str, size: int) -> list[int]:
@@ -132,9 +195,9 @@ def encode_in_chunks(pieces: Pieces, text: str, size: int) -> list[int]:
     text = pieces.prefix + text
     cuts = pieces.cuts(text, size)
     states = [pieces.states(text, c) for c in cuts]
-    path = best_states([pieces.matrix(text, a, b) for a, b in zip(states, states[1:], strict=False)])
-    ends = [s[k][1] for s, k in zip(states, path, strict=True)]
-    return [x for a, b in zip(ends, ends[1:], strict=False) for x in pieces.bare.encode(text[a:b])]
+    path = best_states([pieces.matrix(text, a, b, i, j) for a, b, i, j in zip(states, states[1:], cuts, cuts[1:], strict=False)])
+    taken = [s[k] for s, k in zip(states, path, strict=True)]
+    return [x for a, b, i, j in zip(taken, taken[1:], cuts, cuts[1:], strict=False) for x in pieces.backtrace(text, a, b, i, j)]
 
 
 def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None = None, chunk: int = 16_384) -> DataFrame:
@@ -184,7 +247,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
             rows = []
             for r in batch.to_pylist():
                 enter, leave = ends(pieces, r)
-                m = pieces.matrix(r["part"], enter, leave)
+                m = pieces.matrix(r["part"], enter, leave, r["a"], r["b"])
                 rows.append({"uid": r["uid"], "k": r["k"], "n": m.shape[0], "m": np.isfinite(m).tobytes()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("m", pa.binary())]))
@@ -201,8 +264,9 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
             rows = []
             for r in batch.to_pylist():
                 enter, leave = ends(pieces, r)
-                text = r["part"][enter[r["enter"]][1] : leave[r["leave"]][1]]
-                ids = pieces.bare.encode(text)
+                came, went = enter[r["enter"]], leave[r["leave"]]
+                ids = pieces.backtrace(r["part"], came, went, r["a"], r["b"])
+                text = r["part"][came[1] : went[1]]
                 rows.append({"uid": r["uid"], "k": r["k"], "ids": ids, "same": pieces.bare.decode(ids) == text})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32())), ("same", pa.bool_())]))
