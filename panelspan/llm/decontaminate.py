@@ -8,7 +8,6 @@ Documents are never shuffled.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +36,14 @@ class Phrases:
     def shortest(self) -> int:
         return min(self.windows, default=0)
 
+    def names(self, window: int) -> list[str]:
+        """The item_ids that hold a window, by its number."""
+        for own in self.holders.values():
+            if window < len(own):
+                return [x for x in (self.items[k] for k in own[window]) if x is not None]
+            window -= len(own)
+        raise IndexError(window)
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """2 and above for words of the vocabulary, 1 for others."""
         if not len(self.vocabulary):
@@ -66,8 +73,8 @@ def phrases(item_ids: list, texts: list[str | None], width: int) -> Phrases:
 
 
 def hits(symbols: np.ndarray, rows: np.ndarray, wanted: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences in a shard: word positions at which windows begin, their lengths, and the numbers of their items
-    (one entry for each item). ``rows`` has the first word of each document."""
+    """Occurrences in a shard: word positions at which windows begin, their lengths, and the numbers of the windows (those of one
+    length follow those of the lengths before). ``rows`` has the first word of each document."""
     if not wanted.windows or not len(symbols):
         return (np.zeros(0, np.int64),) * 3
     # Runs of vocabulary words inside one document that can hold the shortest window.
@@ -87,7 +94,8 @@ def hits(symbols: np.ndarray, rows: np.ndarray, wanted: Phrases) -> tuple[np.nda
     source = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     packed[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = symbols[source]
     index = FMIndex(packed)
-    where, length, item = [], [], []
+    where, length, window = [], [], []
+    base = 0
     for size, windows in wanted.windows.items():
         low, high = index.search(windows)
         found = np.flatnonzero(high > low)
@@ -96,16 +104,11 @@ def hits(symbols: np.ndarray, rows: np.ndarray, wanted: Phrases) -> tuple[np.nda
         at = index.locate(np.repeat(low[found] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
         begin_of = np.searchsorted(offsets, at, "right") - 1
         at = starts[begin_of] + at - offsets[begin_of]
-        holders = wanted.holders[size]
-        many = np.array([len(holders[w]) for w in found], np.int64)
-        own = np.array([x for w in found for x in holders[w]], np.int64)
-        base = np.concatenate([[0], np.cumsum(many)])
-        slot = np.searchsorted(found, which)
-        repeat = many[slot]
-        where.append(np.repeat(at, repeat))
-        length.append(np.full(int(repeat.sum()), size))
-        item.append(own[np.repeat(base[slot] - (np.cumsum(repeat) - repeat), repeat) + np.arange(repeat.sum())])
-    return np.concatenate(where), np.concatenate(length), np.concatenate(item)
+        where.append(at)
+        length.append(np.full(len(at), size))
+        window.append(which + base)
+        base += len(windows)
+    return np.concatenate(where), np.concatenate(length), np.concatenate(window)
 
 
 def covered(where: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -132,15 +135,16 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
         yield held, parts
 
 
-def _answers(part: pa.RecordBatch, found: T.Words, where: np.ndarray, length: np.ndarray, item: np.ndarray, wanted: Phrases, cut: bool) -> pa.RecordBatch:
+def _answers(part: pa.RecordBatch, found: T.Words, where: np.ndarray, length: np.ndarray, window: np.ndarray, wanted: Phrases, cut: bool) -> pa.RecordBatch:
     """What ``scan`` says of one slice; ``where`` counts words of the slice. Adds what earlier blocks found."""
     n = part.num_rows
     hit = covered(where, length, len(found.starts))
     row = np.searchsorted(found.rows, where, "right") - 1
     items: list[set[str]] = [set() for _ in range(n)]
-    for r, k in set(zip(row.tolist(), item.tolist(), strict=True)):
-        if wanted.items[k] is not None:
-            items[r].add(wanted.items[k])
+    # Items are added once for each window that a text holds, however often it holds it.
+    if len(row):
+        for r, k in zip(*np.unique(np.stack([row, window]), axis=1).tolist(), strict=True):
+            items[r].update(wanted.names(k))
     if "spans" in part.schema.names:
         for r, (old, names) in enumerate(zip(part["spans"].to_pylist(), part["items"].to_pylist(), strict=True)):
             items[r].update(names)
@@ -203,10 +207,10 @@ def _scan_block(docs: DataFrame, wanted: Phrases, shard_words: int, more: bool,
             base = np.cumsum([0, *(len(h) for _, h in parts)])
             symbols = np.concatenate([wanted.symbols(h) for _, h in parts])
             rows = np.concatenate([[0], *(f.rows[1:] + b for (f, _), b in zip(parts, base, strict=False))]).astype(np.int64)
-            where, length, item = hits(symbols, rows, wanted)
+            where, length, window = hits(symbols, rows, wanted)
             for k, (part, (found, _)) in enumerate(zip(held, parts, strict=True)):
                 inside = (where >= base[k]) & (where < base[k + 1])
-                out = _answers(part, found, where[inside] - base[k], length[inside], item[inside], wanted, cut and not more)
+                out = _answers(part, found, where[inside] - base[k], length[inside], window[inside], wanted, cut and not more)
                 yield out.select(names)
 
     added = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))]
@@ -214,6 +218,3 @@ def _scan_block(docs: DataFrame, wanted: Phrases, shard_words: int, more: bool,
     names = schema.names
     return docs.mapInArrow(run, schema)
 
-
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
