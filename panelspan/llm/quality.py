@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .scratch import written
+from .scratch import small, written
 
 U64 = np.uint64
 #: Classes of bytes: 0 lower-case letter, 1 upper-case letter, 2 digit, 3 space, 4 line break, 5 full stop or comma,
@@ -192,18 +192,21 @@ def fit(rows: DataFrame, waves: int = 256, ridge: float = 1e-3, seed: int = 7) -
     return model
 
 
-def train(every: DataFrame, labels: DataFrame, most_rows: int = 200_000) -> Model:
-    """``every``: what ``features`` gives, written; see ``classify``."""
+def labelled(labels: DataFrame, most_rows: int) -> DataFrame:
+    """(doc_id, y) of the labels to learn from, written; see ``classify``."""
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(~held_out(F.col("doc_id")))
     n = known.count()
     if n > most_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most_rows)
-    return fit(written(every.join(known, "doc_id")))
+    return written(known)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 200_000) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...) that a classifier trained on them and ``labels`` scores at ``threshold`` or more."""
-    model = train(written(features(docs)), labels)
+    known = labelled(labels, most_rows)
+    # Only labelled texts are measured to learn from.
+    own = docs.select("doc_id", "text").join(small(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(written(features(own).join(small(known), "doc_id")))
     source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +225,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_ro
     A null doc_id isn't held out. Null labels and labels of other documents are ignored; repeated rows count repeatedly.
     """
     every = written(features(docs))
-    model = train(every, labels, most_rows)
+    model = fit(written(every.join(small(labelled(labels, most_rows)), "doc_id")))
     scored = _row_numbers(every, "doc_id long, score double", lambda b: pa.RecordBatch.from_arrays([b["doc_id"], pa.array(model.score(_matrix(b["x"])))], ["doc_id", "score"]))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
