@@ -15,7 +15,8 @@ from .scratch import written
 def _toward_least(edges: DataFrame) -> DataFrame:
     """Rows (u, v) in both directions, with the least of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # Written first: next to the aggregation a crowded vertex's part of the join could not be split.
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return both.join(least, "u")
 
 
@@ -25,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` have u > v: joins the smaller neighbours of u, and u itself, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")))
     linked = edges.join(least, "u")
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 # Wordings of public licences by SPDX identifier, as they stand in notices.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -66,7 +68,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     one each. Units of fewer than two words have no bigrams and match nothing.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates).cache()
+    table = written(template_table(spark, templates))
     low, high, total = table.agg(F.min("size"), F.max("size"), F.count("*")).first()
     text = F.col("text").cast("string")
     # Rows are told apart by doc_id and text; one row of those that repeat is compared, all get the answer.

@@ -130,7 +130,8 @@ def group_links(keys: np.ndarray, values: np.ndarray, distance: int, references:
 def links(distinct: DataFrame, distance: int = 3, references: int = 16, largest: int = 20_000) -> DataFrame:
     """Distinct fingerprints (fp) -> links (u, v) that connect all that pairs within ``distance`` connect.
 
-    Groups of over ``largest`` members are dealt out again under the longer keys of a finer cut of the bits.
+    Groups of over ``largest`` members are dealt out again under longer keys: those of a finer cut of the bits, then those with the bands of
+    their distances to one pivot after the other.
     """
     table = pivots(references)
 
@@ -155,12 +156,27 @@ def links(distinct: DataFrame, distance: int = 3, references: int = 16, largest:
     def keyed(values: DataFrame, blocks: int) -> DataFrame:
         return values.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
 
-    rows = keyed(distinct, distance + 2)
-    crowded = written(rows.groupBy("key").count().where(F.col("count") > largest).select("key"))
-    if crowded.isEmpty():
-        return within(rows)
-    again = rows.join(crowded, "key", "left_semi").select("fp").distinct()
-    return within(rows.join(crowded, "key", "left_anti")).unionByName(within(keyed(again, 2 * distance + 2)))
+    def banded(rows: DataFrame, pivot: int) -> DataFrame:
+        """Longer keys: with the band of the distance to a pivot. Distances of two linked fingerprints differ by ``distance`` at most, so one near
+        a band's lower edge is in the band below, too."""
+        width = 2 * distance + 2
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(table.view(np.int64)[pivot]))))
+        band = F.floor(far / width)
+        both = F.when(F.pmod(far, F.lit(width)) < distance, F.array(band, band - 1)).otherwise(F.array(band))
+        return rows.select("fp", "key", F.explode(both).alias("b")).select("fp", F.xxhash64("key", F.lit(pivot), "b").alias("key"))
+
+    out, rows = None, keyed(distinct, distance + 2)
+    for level in range(references + 2):
+        crowded = written(rows.groupBy("key").count().where(F.col("count") > largest).select("key"))
+        fine = crowded.isEmpty() or level == references + 1
+        found = within(rows if fine else rows.join(crowded, "key", "left_anti"))
+        out = found if out is None else out.unionByName(found)
+        if fine:
+            return out
+        again = rows.join(crowded, "key", "left_semi")
+        # First a finer cut of the bits, then the pivots' bands, one after the other.
+        rows = written(keyed(again.select("fp").distinct(), 2 * distance + 2) if level == 0 else banded(again, level - 1))
+    return out
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
