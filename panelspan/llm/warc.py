@@ -141,7 +141,7 @@ def members(file, start: int, end: int, strict: bool = False) -> Iterator[bytes]
     A record that has begun and doesn't decode to its end raises. ``strict``: so do other bytes between members.
     Members stand one after the other, so from the first one on it is known where each has to begin: at the file's beginning, and where
     the one before ends. What begins there and doesn't decode raises; so does the first one after the range, whose own reader can't tell
-    a damaged beginning from chance bytes. Of a member after the range only its first bytes are decoded.
+    a damaged beginning from chance bytes. Of a record after the range only its first bytes are decoded.
     """
     window = _Window(file, start)
     at, certain = 0, strict and start == 0
@@ -172,9 +172,12 @@ def members(file, start: int, end: int, strict: bool = False) -> Iterator[bytes]
         while len(window.data) < at + 1024 and window.more():
             pass
         try:
-            zlib.decompressobj(31).decompress(bytes(window.data[at : at + 1024]))
-        except zlib.error as e:
-            raise Broken(f"the member at byte {window.start + at} is damaged: {e}") from e
+            begun = zlib.decompressobj(31).decompress(bytes(window.data[at : at + 1024]))[:5] == b"WARC/"
+        except zlib.error:
+            begun = False
+        if not begun:
+            # No record, or a damaged one: only its whole says which.
+            _inflate(window, at, True)
 
 
 def parse(data: bytes) -> dict | None:

@@ -424,3 +424,126 @@ def test_line_dedup(spark, nothing):
         out = [x for k, x in enumerate(t.split("\n")) if k not in gone.get(i if i is not None else 1 << 62, ())]
         assert (r.text, r.n_lines, r.n_removed) == ("\n".join(out), len(t.split("\n")), len(t.split("\n")) - len(out))
     assert line_dedup.deduplicate(nothing).count() == 0
+
+
+def test_sentencepiece_cuts_have_states():
+    """On giant texts of the tables most cuts fall inside a piece, and paths through their states give the library's pieces."""
+    import pyarrow.parquet as pq
+
+    with open(sentencepieces.default_model(), "rb") as f:
+        pieces = sentencepieces.Pieces(f.read())
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t and len(t) > 16_384]
+    states = [len(pieces.states(" " + t, k)) for t in texts for k in pieces.cuts(" " + t, 16_384)[1:-1]]
+    assert len(states) >= 5 and sum(n > 1 for n in states) * 2 > len(states)
+    for t in texts:
+        assert sentencepieces.encode_in_chunks(pieces, t, 16_384) == pieces.library.encode(t)
+
+
+def test_sentencepiece_edges(spark):
+    rows = [(1, "a▁b", None), (2, "", [5]), (None, None, None), (2, "", [5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>")
+    got = sentencepieces.encode(docs)
+    assert got.columns == ["doc_id", "text", "ids", "round_trip"]
+    assert sorted((str(r.doc_id), len(r.ids) > 0, r.round_trip) for r in got.collect()) == [("1", True, False), ("2", False, True), ("2", False, True), ("None", False, True)]
+    back = sentencepieces.decode(docs.select("doc_id", "ids"))
+    assert sorted(len(r.text) > 0 for r in back.collect()) == [False, False, True, True] and sentencepieces.decode(docs.where("false")).count() == 0
+    marked = {r.doc_id: r.text for r in sentencepieces.decode(got.drop("text")).collect()}
+    assert marked[1] == "a b"
+
+
+def test_best_states_against_all_paths():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        sizes = [1, *rng.integers(1, 4, rng.integers(0, 6)), 1]
+        matrices = [np.where(rng.random((a, b)) < 0.8, 0.0, -np.inf) for a, b in zip(sizes, sizes[1:])]
+        total = matrices[0]
+        for m in matrices[1:]:
+            total = sentencepieces.product(total, m)
+        path = sentencepieces.best_states(matrices)
+        assert len(path) == len(sizes)
+        if np.isfinite(total[0, 0]):
+            assert all(m[a, b] == 0 for m, a, b in zip(matrices, path, path[1:]))
+
+
+def test_suffix_tree_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        sizes = rng.integers(6, 30, 4)
+        words = rng.integers(0, 3, sizes.sum()).astype(np.uint64)
+        stops = np.cumsum(sizes)
+        begins = np.concatenate([np.arange(b - n, b - 4) for n, b in zip(sizes, stops)])
+        ends = np.concatenate([np.full(n - 4, b) for n, b in zip(sizes, stops)])
+        order, shared = substrings.suffix_tree(words, begins, ends)
+        assert sorted(order.tolist()) == list(range(len(begins)))
+        text = lambda k: words[begins[k] : ends[k]].tolist()
+        common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        assert [common(text(a), text(b)) for a, b in zip(order, order[1:])] == shared[1:].tolist()
+        starts, depths = substrings.deep_nodes(shared, 5)
+        groups = {tuple(sorted(order[a:b].tolist())) for a, b in zip(starts, [*starts[1:], len(order)])}
+        want = {}
+        for k in range(len(begins)):
+            want.setdefault(tuple(text(k)[:5]), []).append(k)
+        assert groups == {tuple(sorted(v)) for v in want.values()} and all(d == 0 or d >= 5 for d in depths)
+
+
+def test_warc_damage_is_an_error(spark, tmp_path):
+    import glob
+
+    pages = spark.createDataFrame([(k, "u", ("page %d " % k) * 400) for k in range(3)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write(warc.with_revisits(pages).coalesce(1), "file://" + path)
+    name = max(glob.glob(path + "/part*"), key=lambda p: len(open(p, "rb").read()))
+    data = open(name, "rb").read()
+    begins = [k for k in range(len(data)) if data[k : k + 3] == warc.MAGIC]
+    assert len(begins) >= 3
+    damaged = [data[:-9], data[: begins[2] + 5], data[: begins[1]] + b"junk" + data[begins[1] :]]
+    for at in (begins[0] + 1, begins[1] + 12, begins[1] + 60, len(data) - 6):
+        damaged.append(data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :])
+    for n, bad in enumerate(damaged):
+        other = tmp_path / f"bad{n}"
+        other.mkdir()
+        (other / "x.warc.gz").write_bytes(bad)
+        for split in (64, 1 << 20):
+            with pytest.raises(Exception, match="bad"):
+                warc.read(spark, f"file://{other}", split=split).collect()
+    none = "file://" + str(tmp_path / "none")
+    warc.write(warc.with_revisits(pages.where("false")), none)
+    assert warc.read(spark, none).count() == 0
+
+
+def test_common_windows_of_many_items(spark):
+    items = spark.createDataFrame([(k, "yes") for k in range(300)] + [(300, "yes we can " * 6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Yes " * 5000), (2, "no"), (3, "YES no yes")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(docs, items).collect()}
+    assert (got[1].n_hit, len(got[1].items), got[2].n_hit, got[3].n_hit, len(got[3].items)) == (5000, 300, 0, 2, 300)
+
+
+def test_quality_against_plain_ridge_and_isotonic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    every = quality.features(docs).toPandas()
+    known = quality.labelled(labels, 200_000).toPandas().merge(every, on="doc_id")
+    got = quality.classify(docs, labels).toPandas().set_index("doc_id").score
+    x, y = np.stack(known.x), known.y.to_numpy()
+    import zlib
+
+    assert not any(zlib.crc32(str(d).encode()) % 5 == 0 for d in known.doc_id)
+    fourth = np.array([r.c for r in spark.createDataFrame([(int(d),) for d in known.doc_id], "doc_id long").select((F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0).alias("c")).collect()])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    rng = np.random.default_rng(7)
+    directions, phases = rng.normal(size=(x.shape[1], 256)) / np.sqrt(x.shape[1]), rng.uniform(0, 2 * np.pi, 256)
+
+    model = quality.Model(mean, scale, directions, phases, np.zeros(257), np.array([0.0]), np.array([0.5]))
+    z = model.lift(x[~fourth])
+    # The plain form of the same ridge: one least squares problem with the penalty as rows of its own.
+    penalty = np.sqrt(1e-3 * max((z[:, 0] ** 2).sum(), 1) * np.array([1e-9, *np.ones(256)]))
+    model.weights = np.linalg.lstsq(np.vstack([z, np.diag(penalty)]), np.concatenate([y[~fourth], np.zeros(257)]), rcond=None)[0]
+    raw = np.round(np.clip(model.raw(x[fourth]), -1, 2) * 1000)
+    bins = np.unique(raw)
+    means, n = np.array([y[fourth][raw == b].mean() for b in bins]), np.array([(raw == b).sum() for b in bins])
+    level = [max(min(np.average(means[a:b], weights=n[a:b]) for b in range(i + 1, len(bins) + 1)) for a in range(i + 1)) for i in range(len(bins))]
+    model.knots, model.levels = bins / 1000, np.array(level)
+    plain = model.score(np.stack(every.x))
+    assert np.quantile(np.abs(plain - got.loc[every.doc_id].to_numpy()), 0.99) < 0.02
+    held = labels.toPandas().dropna(subset=["quality", "doc_id"])
+    held = held[[zlib.crc32(str(d).encode()) % 5 == 0 for d in held.doc_id]]
+    assert ((got.loc[held.doc_id].to_numpy() >= 0.3) == (held.quality == 1)).mean() > 0.97
