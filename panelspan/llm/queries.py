@@ -70,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "line")
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "line", "unit", "place")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +99,18 @@ def _license_sql() -> str:
         WITH t AS (SELECT template, license, {words.format('body')} AS w FROM (VALUES {rows}) v(template, license, body)),
         tb AS (SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
         ts AS (SELECT template, count(*) AS size FROM tb GROUP BY template),
-        u AS (SELECT doc_id, 0 AS line, text AS unit FROM documents WHERE contains(text, chr(10))
-            UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL),
-        uw AS (SELECT doc_id, line, {words.format('unit')} AS w FROM u),
-        ub AS (SELECT DISTINCT doc_id, line, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM uw)),
-        us AS (SELECT doc_id, line, count(*) AS n FROM ub GROUP BY doc_id, line),
-        m AS (SELECT ub.doc_id, ub.line, tb.template, tb.license, count(*) AS both_have FROM ub JOIN tb USING (bigram) GROUP BY ALL),
-        d AS (SELECT m.*, 2.0::DOUBLE * both_have / (n + size) AS dice FROM m JOIN us USING (doc_id, line) JOIN ts USING (template)),
-        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS k FROM d WHERE dice >= 0.8 - 1e-12)
-        SELECT documents.doc_id, license, round(dice, 6) AS dice, CAST(line AS BIGINT) AS line
+        d0 AS (SELECT doc_id, text, contains(text, chr(10)) AS several, string_split_regex(text, '{licenses.PARAGRAPH}') AS ps, string_split(text, chr(10)) AS ls, string_split_regex(text, '{licenses.SENTENCE}') AS ss FROM documents WHERE text IS NOT NULL),
+        u AS (SELECT doc_id, 0 AS kind, 0 AS place, text AS unit FROM d0 WHERE several
+            UNION ALL SELECT doc_id, 1, unnest(range(1, len(ls) + 1)), unnest(ls) FROM d0
+            UNION ALL SELECT * FROM (SELECT doc_id, 2, unnest(range(1, len(ps) + 1)), unnest(ps) AS p FROM d0 WHERE several) WHERE contains(p, chr(10))
+            UNION ALL SELECT doc_id, 3, unnest(range(1, len(ss) + 1)), unnest(ss) FROM d0 WHERE len(ss) > 1),
+        uw AS (SELECT doc_id, kind, place, {words.format('unit')} AS w FROM u),
+        ub AS (SELECT DISTINCT doc_id, kind, place, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM uw)),
+        us AS (SELECT doc_id, kind, place, count(*) AS n FROM ub GROUP BY doc_id, kind, place),
+        m AS (SELECT ub.doc_id, ub.kind, ub.place, tb.template, tb.license, count(*) AS both_have FROM ub JOIN tb USING (bigram) GROUP BY ALL),
+        d AS (SELECT m.*, 2.0::DOUBLE * both_have / (n + size) AS dice FROM m JOIN us USING (doc_id, kind, place) JOIN ts USING (template)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, kind, place, template) AS k FROM d WHERE dice >= 0.8 - 1e-12)
+        SELECT documents.doc_id, license, round(dice, 6) AS dice, CASE WHEN kind < 2 THEN CAST(place AS BIGINT) END AS line, {licenses.KINDS}[kind + 1] AS unit, CAST(place AS BIGINT) AS place
         FROM documents LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON documents.doc_id = b.doc_id"""
 
 

@@ -547,3 +547,20 @@ def test_quality_against_plain_ridge_and_isotonic(spark):
     held = labels.toPandas().dropna(subset=["quality", "doc_id"])
     held = held[[zlib.crc32(str(d).encode()) % 5 == 0 for d in held.doc_id]]
     assert ((got.loc[held.doc_id].to_numpy() >= 0.3) == (held.quality == 1)).mean() > 0.97
+
+
+def test_licenses_in_paragraphs_and_sentences(spark):
+    import textwrap
+
+    body = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 600)
+    start = body.index("Permission")
+    wrapped = "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + "\n".join(textwrap.wrap(body[start : body.index("The above")], 70)) + "\n\n" + "\n".join(textwrap.wrap(body[body.index("The above") :], 70))
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100)
+    header = "#!/bin/sh\n# A tool of ours\n#\n" + "\n".join("#  " + x for x in textwrap.wrap(gpl, 60)) + "\n#\nset -e\n" + "run --this and --that with other words\n" * 30
+    inside = "We wrote this tool in 2021. Released under the MIT License. Please send patches by mail."
+    bsd3 = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and len(t) > 600)
+    long = "some words of a very long text go on and on\n" * 20_000 + "\nLicensed under CC BY 4.0.\n"
+    rows = [(1, wrapped), (2, header), (3, inside), (4, "\n".join(textwrap.wrap(bsd3, 80))), (5, long), (6, "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0."), (7, "...\n\n"), (8, "a " * 100_000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, place int, unit string")).collect()}
+    assert [got[k].license for k in range(1, 9)] == ["MIT", "GPL-3.0", "MIT", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-4.0", None, None]
+    assert [got[k].unit for k in range(1, 7)] == ["paragraph", "paragraph", "sentence", "text", "line", "line"] and got[6].line == 1 and got[3].line is None and got[3].place == 2
