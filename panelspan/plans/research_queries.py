@@ -31,11 +31,11 @@ INSTRUMENTS = f"""WITH {PANEL}, m AS (SELECT *, median(value) OVER (PARTITION BY
   CASE WHEN rating IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY d ORDER BY rating NULLS LAST) + (count(*) OVER (PARTITION BY d, rating) - 1) / 2.0) / count(rating) OVER (PARTITION BY d) - 0.5 END AS z_rating,
   CASE WHEN liquid IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY d ORDER BY liquid NULLS LAST) + (count(*) OVER (PARTITION BY d, liquid) - 1) / 2.0) / count(liquid) OVER (PARTITION BY d) - 0.5 END AS z_liquidity,
   (rank() OVER (PARTITION BY d ORDER BY still) + (count(*) OVER (PARTITION BY d, still) - 1) / 2.0) / count(*) OVER (PARTITION BY d) - 0.5 AS z_run, (event_type = 'view')::INT::DOUBLE AS in_state FROM s),
- h AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM r) WHERE k >= 5), i AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY d) AS j FROM h) WHERE j >= 20)"""
+ h AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM r) WHERE k >= 5), i AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY d) AS j FROM h) WHERE j >= 5)"""
 
 
 def _instruments(spark, sf):
-    return instruments.instrument_panel(panel(spark, sf), "user_id", "d", "value", "event_type", {"purchase": 3, "view": 2, "click": 1}, "view", scale=10.0, k=1.5, date_size=20)
+    return instruments.instrument_panel(panel(spark, sf), "user_id", "d", "value", "event_type", {"purchase": 3, "view": 2, "click": 1}, "view", scale=10.0, k=1.5, date_size=5)
 
 
 Z = ["z_level", "z_rating", "z_liquidity", "z_run", "in_state"]
@@ -121,7 +121,7 @@ def fama_macbeth_two(spark, sf):
 
 
 @query(f"""WITH {LAGS.replace('v AS', 'u AS')}, v AS (SELECT d, y - avg(y) OVER c AS y, x - avg(x) OVER c AS x FROM (SELECT u.*, event_type FROM u JOIN p USING (user_id, d) WHERE x IS NOT NULL) WINDOW c AS (PARTITION BY d, event_type)),
- b AS (SELECT d, regr_slope(y, x) AS b FROM v GROUP BY d HAVING count(*) >= 30 AND var_pop(x) > 0) SELECT count(*) AS dates, round(avg(b), 5) AS mean, round(sqrt(count(*)) * avg(b) / nullif(stddev_pop(b), 0), 4) AS t FROM b""")
+ b AS (SELECT d, regr_slope(y, x) AS b FROM v GROUP BY d HAVING count(*) >= 30 AND var_pop(x) > 0) SELECT count(*) AS dates, round(avg(b), 5) AS mean, round(sqrt(count(*)) * avg(b) / nullif(stddev_pop(b), 0), 4) AS t FROM b HAVING count(*) > 2""")
 def fama_macbeth_neutralised(spark, sf):
     lagged, _ = regression.lag_design(panel(spark, sf), ["user_id"], ["d"], "value", 1)
     cell = Window.partitionBy("d", "event_type")
