@@ -15,7 +15,7 @@ def argmax_on_curve(requests: DataFrame, curves: DataFrame, key: str, charge: st
     """
     cases = requests.select(key, charge).where(F.col(charge).isNotNull()).distinct()
     u = (F.col("q") + width + F.col(charge)) * F.col("p")
-    best = cases.join(F.broadcast(curves), key).withColumn("_u", u).groupBy(key, charge).agg(F.max_by(F.struct("q", "p", F.col("_u").alias("u")), F.struct("_u", -F.col("pos"))).alias("_b"))
+    best = cases.join(curves, key).withColumn("_u", u).groupBy(key, charge).agg(F.max_by(F.struct("q", "p", F.col("_u").alias("u")), F.struct("_u", -F.col("pos"))).alias("_b"))
     return requests.join(best, [key, charge], "left").select(*requests.columns, F.col("_b.q").alias("best_q"), F.col("_b.p").alias("best_p"), F.col("_b.u").alias("best_u"))
 
 
