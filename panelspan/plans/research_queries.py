@@ -408,7 +408,7 @@ def economic_sizing(spark, sf):
 
 
 @query(f"""WITH {PANEL}, {TAPE}, j AS (SELECT t.event_id, t.d, t.side, t.value AS y, (SELECT arg_max(p.value, p.d) FROM p WHERE p.user_id = t.user_id AND p.d < t.d) AS score FROM t WHERE side IS NOT NULL), q AS (SELECT *, least(floor((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 - 1) / count(*) OVER () * 10), 9) AS dec FROM j WHERE score IS NOT NULL)
- SELECT CAST(dec AS INTEGER) AS dec, side, count(*) AS n, round(avg(y), 6) AS mean FROM q GROUP BY 1, 2""")
+ SELECT CAST(dec AS INTEGER) AS dec, side, count(*) AS n, CAST(sum(CAST(round(y * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * count(*) AS DOUBLE) AS mean FROM q GROUP BY 1, 2""")
 def frozen_score_validation(spark, sf):
     t = tape(spark, sf).where("side is not null").select("event_id", "user_id", "d", "side", F.col("value").alias("y"))
     p = panel(spark, sf).select("user_id", F.col("d").alias("seen"), F.col("value").alias("score"))
@@ -416,7 +416,9 @@ def frozen_score_validation(spark, sf):
     ranks = measure.global_ranks(j, "asof_score")
     n = j.agg(F.count("*").alias("_n"))
     dec = F.least(F.floor((F.col("r_asof_score") - 1) / F.col("_n") * 10), F.lit(9)).cast("int")
-    return j.join(ranks, "asof_score").join(F.broadcast(n)).groupBy(dec.alias("dec"), "side").agg(F.count("*").alias("n"), r6(F.avg("y")).alias("mean"))
+    # In whole hundredths: sums don't hang on their order then.
+    mean = F.sum(F.round(F.col("y") * 100).cast("long")).cast("double") / (100 * F.count("*")).cast("double")
+    return j.join(ranks, "asof_score").join(F.broadcast(n)).groupBy(dec.alias("dec"), "side").agg(F.count("*").alias("n"), mean.alias("mean"))
 
 
 MEMORY = "SELECT a.event_id, round(sum(b.value * pow(0.5, (a.k - b.k) / 3.0)) / sum(pow(0.5, (a.k - b.k) / 3.0)), 5) AS memory FROM n a LEFT JOIN n b ON {on} AND b.k < a.k GROUP BY a.event_id"
