@@ -119,14 +119,14 @@ def covered(where: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[pa.RecordBatch], list]]:
-    """Slices of the input, tokenised, until they hold ``size`` words."""
+def _shards(batches: Iterator[pa.RecordBatch], wanted: Phrases, size: int) -> Iterator[tuple[list[pa.RecordBatch], list]]:
+    """Slices of the input with their words and these words' symbols, until they hold ``size`` words. Small slices: what tokenising needs is many times its text."""
     held, parts, n = [], [], 0
-    for part in T.slices(batches, "text"):
+    for part in T.slices(batches, "text", 1 << 20):
         text = T.column_bytes(part["text"]).lower()
         found = T.words(text, T.ALNUM)
         held.append(part)
-        parts.append((found, T.word_hashes(text, found)))
+        parts.append((found, wanted.symbols(T.word_hashes(text, found))))
         n += len(found.starts)
         if n >= size:
             yield held, parts
@@ -177,7 +177,7 @@ def _answers(part: pa.RecordBatch, found: T.Words, where: np.ndarray, length: np
     return pa.RecordBatch.from_pydict(out)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, cut: bool = False, width: int = 10, shard_words: int = 1_500_000, block_bytes: int = 8 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, cut: bool = False, width: int = 10, shard_words: int = 250_000, block_bytes: int = 8 << 20) -> DataFrame:
     """``columns`` of ``docs`` (all of them) and: n_words; n_hit, the words inside any occurrence of a window; spans,
     an array of word positions [begin, end, begin, end, ...], merged; items, the item_ids of the windows, sorted as strings.
     With ``cut``, text is returned without the spans (from the first byte of their first word to the last of their last).
@@ -185,6 +185,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. Null texts have no words
     and stay null unless ``cut``. Items without words match nothing; those without an item_id count in n_hit and spans, not in items; rows that repeat an item_id count as one item.
     The benchmark is sent to the executors in blocks of about ``block_bytes`` of text, one pass over the documents each.
+    A shard's index holds ``shard_words`` words and what the last slice of 1 MB adds, which bounds a task's memory.
     Columns of ``docs`` whose names clash with those added are replaced.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -203,9 +204,9 @@ def _scan_block(docs: DataFrame, wanted: Phrases, shard_words: int, more: bool,
     """One pass. ``more``: other blocks follow, which need the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, parts in _shards(batches, shard_words):
-            base = np.cumsum([0, *(len(h) for _, h in parts)])
-            symbols = np.concatenate([wanted.symbols(h) for _, h in parts])
+        for held, parts in _shards(batches, wanted, shard_words):
+            base = np.cumsum([0, *(len(s) for _, s in parts)])
+            symbols = np.concatenate([s for _, s in parts])
             rows = np.concatenate([[0], *(f.rows[1:] + b for (f, _), b in zip(parts, base, strict=False))]).astype(np.int64)
             where, length, window = hits(symbols, rows, wanted)
             for k, (part, (found, _)) in enumerate(zip(held, parts, strict=True)):
