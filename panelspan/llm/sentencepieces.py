@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .scratch import written
+from .scratch import modest_batches, written
 
 MINUS = -np.inf
 
@@ -52,11 +52,11 @@ class Pieces:
         self.vocabulary = set(words)
         self.pairs = {w[k : k + 2] for w in words for k in range(len(w) - 1)}
         self.longest = max(map(len, words), default=1)
-        self.ids = lru_cache(1 << 20)(lambda text: tuple(self.bare.encode(text)))
+        self.ids = lru_cache(1 << 14)(lambda text: tuple(self.bare.encode(text)))
         #: Whether a run of characters is a piece that its own encoding gives.
-        self.proper = lru_cache(1 << 18)(lambda own: own in self.vocabulary and len(self.ids(own)) == 1)
-        self.single = lru_cache(1 << 16)(self._one)
-        self.compatible = lru_cache(1 << 20)(lambda a, b: a[-1] + b[0] not in self.pairs or self.ids(a + b) == self.ids(a) + self.ids(b))
+        self.proper = lru_cache(1 << 14)(lambda own: own in self.vocabulary and len(self.ids(own)) == 1)
+        self.single = lru_cache(1 << 14)(self._one)
+        self.compatible = lru_cache(1 << 14)(lambda a, b: a[-1] + b[0] not in self.pairs or self.ids(a + b) == self.ids(a) + self.ids(b))
 
     def _one(self, piece: str) -> tuple[int, ...]:
         """The piece's own number, or, for a character that is none, its bytes'."""
@@ -167,6 +167,12 @@ class Pieces:
         return [*pieces(enter, (first, first)), *self.bare.encode(text[first:last]), *pieces((last, last), leave)]
 
 
+@lru_cache(maxsize=1)
+def shared(model: bytes) -> Pieces:
+    """One for all tasks of a worker: each holds tens of MB, in a cycle that is only freed when Python happens to collect it."""
+    return Pieces(model)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(1)
@@ -209,14 +215,15 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
     """
     with open(path or default_model(), "rb") as f:
         model = f.read()
+    modest_batches(docs.sparkSession)
     own = [c for c in (columns or docs.columns) if c not in ("ids", "round_trip")]
     source = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if not Pieces(model).chunks:
         chunk = 1 << 62
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        for part in T.slices(batches, "text", 1 << 20):
+        pieces = shared(model)
+        for part in T.slices(batches, "text", 1 << 18):
             texts = part["text"].to_pylist()
             ids = pieces.encode(texts)
             same = [a == b for a, b in zip(pieces.decode(ids), texts, strict=True)]
@@ -226,7 +233,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
     short = source.where(F.length("text") <= chunk).mapInArrow(whole, f"row {kind}, ids array<int>, round_trip boolean")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = shared(model)
         for part in T.slices(batches, "text", 1 << 20):
             for uid, text in zip(part["uid"].to_pylist(), part["text"].to_pylist(), strict=True):
                 text = pieces.prefix + text
@@ -242,7 +249,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
         return ([(r["a"], r["a"])] if r["first"] else pieces.states(text, r["a"])), ([(r["b"], r["b"])] if r["last"] else pieces.states(text, r["b"]))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = shared(model)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -252,14 +259,14 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("m", pa.binary())]))
 
-    def choose(group):
-        group = group.sort_values("k")
-        own = [np.where(np.frombuffer(m, bool).reshape(n, -1), 0.0, MINUS) for n, m in zip(group["n"], group["m"], strict=True)]
+    def choose(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        own = [np.where(np.frombuffer(m, bool).reshape(n, -1), 0.0, MINUS) for n, m in zip(group["n"].to_pylist(), group["m"].to_pylist(), strict=True)]
         found = best_states(own)
-        return group[["uid", "k"]].assign(enter=found[:-1], leave=found[1:])
+        return pa.table({"uid": group["uid"], "k": group["k"], "enter": pa.array(found[:-1], pa.int32()), "leave": pa.array(found[1:], pa.int32())})
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = shared(model)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -275,7 +282,7 @@ def encode(docs: DataFrame, columns: list[str] | None = None, path: str | None =
     parts = written(giant.select("uid", "text").mapInArrow(cut, "uid long, k int, part string, a int, b int, first boolean, last boolean"))
     # Chunks are read where they were written; only their matrices move, to a number of tasks that doesn't shrink with their bytes.
     each = parts.mapInArrow(matrices, "uid long, k int, n int, m binary").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
-    chosen = each.groupBy("uid").applyInPandas(choose, "uid long, k int, enter int, leave int")
+    chosen = each.groupBy("uid").applyInArrow(choose, "uid long, k int, enter int, leave int")
     done = parts.join(chosen, ["uid", "k"]).mapInArrow(between, "uid long, k int, ids array<int>, same boolean")
     joined = done.groupBy("uid").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"]).alias("ids"), F.min("same").alias("round_trip"))
     long = giant.select("uid", "row").join(joined, "uid").select("row", "ids", "round_trip")
@@ -289,7 +296,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     source = tokens.select(F.struct(*[c for c in tokens.columns if c != "text"]).alias("row"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = shared(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
